@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, bool)
@@ -133,7 +134,7 @@ def slices_by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int)
         array = batch.column(batch.schema.get_field_index(column))
         if not batch.num_rows:
             continue
-        lengths = pa.compute.binary_length(array).fill_null(0).to_numpy(zero_copy_only=False)
+        lengths = pc.binary_length(array).fill_null(0).to_numpy(zero_copy_only=False)
         marks = np.cumsum(lengths, dtype=np.int64) // limit
         cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), batch.num_rows]
         for s, e in zip(cuts, cuts[1:]):
