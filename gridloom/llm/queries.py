@@ -6,7 +6,7 @@ import importlib
 import re
 
 #: Modules in the order of their operators. Each holds opN_<name> functions and may hold ORACLE_SQL.
-MODULES = ["bpe", "exact_dedup", "language_id", "quality", "near_dedup"]
+MODULES = ["bpe", "exact_dedup", "language_id", "quality", "near_dedup", "packing"]
 
 
 def _modules():
