@@ -6,7 +6,7 @@ import importlib
 import re
 
 #: Modules in the order of their operators. Each holds opN_<name> functions and may hold ORACLE_SQL.
-MODULES = ["bpe", "shards", "exact_dedup", "language_id", "quality", "near_dedup", "packing", "token_files", "topk"]
+MODULES = ["bpe", "shards", "exact_dedup", "language_id", "quality", "near_dedup", "packing", "token_files", "topk", "lm_score"]
 
 
 def _modules():
