@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
-from gridloom.tensor import POS, Tensor, along
+from gridloom.tensor import Tensor
 
 __all__ = ["append_previous", "binary", "combine_first", "concat", "dot", "where"]
 
@@ -65,8 +65,18 @@ def _joined_axes(a: Tensor, b: Tensor) -> dict:
     return coords
 
 
+def _sorted_axes(a: Tensor, b: Tensor) -> dict:
+    """Coordinate tables of the union of labels in label order, where either side has a table."""
+    coords = {}
+    for d in a.dims:
+        if d in a.coords or d in b.coords:
+            labels = a.axis(d).select(d).unionByName(b.axis(d).select(d)).distinct()
+            coords[d] = labels.select(d, (F.row_number().over(Window.orderBy(d)) - 1).cast("long").alias("pos"))
+    return coords
+
+
 def combine_first(new: Tensor, old: Tensor) -> Tensor:
-    """Valid cells of ``new``; where it has none, those of ``old``; labels of both."""
+    """Valid cells of ``new``; where it has none, those of ``old``; labels of both, in label order."""
     if set(new.dims) != set(old.dims):
         raise ValueError("dimensions differ")
     vars = (*new.vars, *(v for v in old.vars if v not in new.vars))
@@ -74,7 +84,7 @@ def combine_first(new: Tensor, old: Tensor) -> Tensor:
     right = old.df.select(*old.dims, *[F.col(v).alias(f"__o_{v}") for v in old.vars])
     df = left.join(right, list(new.dims), "full_outer")
     pick = lambda v: F.coalesce(*[F.col(f"__{s}_{v}") for s, t in (("n", new), ("o", old)) if v in t.vars]).alias(v)
-    return Tensor(df.select(*new.dims, *[pick(v) for v in vars]), new.dims, vars, _joined_axes(old, new))
+    return Tensor(df.select(*new.dims, *[pick(v) for v in vars]), new.dims, vars, _sorted_axes(old, new))
 
 
 def concat(parts: list[Tensor]) -> Tensor:
