@@ -2,9 +2,8 @@
 
 The reference of both encoders is the tokenizers library on the same file. ``ByteBpe`` runs the rank
 form of the vocabulary where the two libraries cannot differ (characters below U+0250, no special
-token in the text) and the tokenizers library itself elsewhere. ``WordBpe`` encodes each distinct
-run of non-blank characters once and reuses the ids: its normaliser and splitter never look across
-a blank, so ids of the runs concatenate to those of the text.
+token in the text) and the tokenizers library itself elsewhere. ``WordBpe`` encodes each distinct word
+once and reuses the ids.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 
@@ -90,12 +90,41 @@ class ByteBpe:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
+def _characters(kind: str) -> str:
+    """Characters below U+0250 of a Unicode category, for a bracket of a regular expression."""
+    return "".join(re.escape(chr(i)) for i in range(0x250) if unicodedata.category(chr(i))[0] == kind)
+
+
+_L, _N = _characters("L"), _characters("N")
+#: The splitter of the word vocabulary's family, over lower-cased characters below U+0250.
+_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^ \t\n\v\f\r\x85\xa0{_L}{_N}]+")
+#: Its normaliser and splitter as the vocabulary file must state them for the fast way to be taken.
+_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+class _Words(dict):
+    """word -> ids as bytes; a new word is worked out when it is asked for."""
+
+    def __init__(self, merger, ids: list[bytes]):
+        self.merge, self.ids = merger._encode_single_piece, ids
+
+    def __missing__(self, word: str) -> bytes:
+        out = self[word] = b"".join([self.ids[r] for r in self.merge(word.encode("utf-8") + b"\xff")])
+        return out
+
+
 class WordBpe:
-    """A vocabulary whose splitter drops white space: ids by remembered runs of other characters."""
+    """A vocabulary whose splitter drops white space and whose words end in a mark.
+
+    Plain texts (characters below U+0250, no special token) are split here and each distinct word's ids
+    are worked out once, by a byte-level merger in which a byte that UTF-8 never uses stands for the
+    mark. Other texts go to the tokenizers library in runs between blanks, which its normaliser and
+    splitter never look across.
+    """
 
     _loaded: dict[str, WordBpe] = {}
-    #: Remembered runs at most; then the memory starts afresh.
-    MOST = 400_000
+    #: Remembered words at most; then the memory starts afresh.
+    MOST = 500_000
 
     @classmethod
     def load(cls, path: str) -> WordBpe:
@@ -104,22 +133,57 @@ class WordBpe:
         return cls._loaded[path]
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(path)
         self.exact.no_truncation()
         self.exact.no_padding()
-        self.known: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {}  # of words, if plain
+        self.known_runs: dict[str, bytes] = {"": b""}
+        spec = json.load(open(path, encoding="utf-8"))
+        self.special = [t["content"] for t in spec["added_tokens"]]
+        steps = [n.get("type") for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        split = [p.get("pattern", {}).get("Regex") for p in (spec["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.plain = steps == ["NFC", "Replace", "Lowercase"] and split[:1] == [_WORD_SPLIT] and spec["model"].get("end_of_word_suffix") == "</w>"
+        if self.plain:
+            byte, mark, raw = _unicode_bytes(), b"\xff", {}
+            for token, i in spec["model"]["vocab"].items():
+                if token not in self.special:
+                    ends = token.endswith("</w>") and len(token) > 4
+                    raw[bytes(byte[c] for c in (token[:-4] if ends else token)) + mark * ends] = i
+            ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + mark: 256 + b for b in range(256)}
+            ids = {r: raw[k] for k, r in ranks.items()}
+            for k, i in raw.items():
+                if k not in ranks:
+                    ranks[k] = ids[i] = i
+            merger = tiktoken.Encoding("word-ends", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
+            self.known = _Words(merger, [ids.get(r, 0).to_bytes(4, "little") for r in range(max(ids) + 1)])
+
+    def _plain(self, text: str) -> bytes:
+        if len(self.known) > self.MOST:
+            self.known.clear()
+        return b"".join(map(self.known.__getitem__, _WORDS.findall(text.lower())))
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Of each text the ids as little-endian unsigned 32-bit integers."""
-        runs = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > self.MOST:
-            known = self.known = {"": b""}
-        new = list({w for r in runs for w in r if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, e in zip(part, self.exact.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, r)) for r in runs]
+        out: list[bytes] = [b""] * len(texts)
+        rest = []
+        for i, t in enumerate(texts):
+            if self.plain and not _RARE.search(t) and "\u0130" not in t and not any(s in t for s in self.special):
+                out[i] = self._plain(t)
+            else:
+                rest.append(i)
+        if rest:
+            runs = [texts[i].replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for i in rest]
+            if len(self.known_runs) > self.MOST // 4:
+                self.known_runs = {"": b""}
+            known = self.known_runs
+            new = list({w for r in runs for w in r if w not in known})
+            for s in range(0, len(new), 20_000):
+                part = new[s : s + 20_000]
+                for word, e in zip(part, self.exact.encode_batch_fast(part, add_special_tokens=False)):
+                    known[word] = np.array(e.ids, "<u4").tobytes()
+            for i, r in zip(rest, runs):
+                out[i] = b"".join(map(known.__getitem__, r))
+        return out
