@@ -32,7 +32,7 @@ CELLWISE: dict[str, Callable] = {
     "abs": F.abs, "exp": F.exp, "sign": F.signum, "floor": F.floor, "ceil": F.ceil, "log1p": F.log1p, "expm1": F.expm1, "sin": F.sin, "cos": F.cos, "tan": F.tan, "tanh": F.tanh,
     "sqrt": lambda c: F.when(c >= 0, F.sqrt(c)), "log": lambda c: F.when(c > 0, F.log(c)), "log2": lambda c: F.when(c > 0, F.log2(c)), "log10": lambda c: F.when(c > 0, F.log10(c)),
     "round": lambda c, n=0: F.round(c, n), "isnull": lambda c: c.isNull(), "isnan": lambda c: c.isNull(), "notnull": lambda c: c.isNotNull(),
-    "clip": lambda c, low=None, high=None: F.greatest(F.least(c, F.lit(high)) if high is not None else c, F.lit(low)) if low is not None else (F.least(c, F.lit(high)) if high is not None else c),
+    "clip": lambda c, low=None, high=None: F.when(c.isNotNull(), F.greatest(F.least(c, F.lit(high)), F.lit(low))),
     "astype": lambda c, kind: c.cast({"float": "double", "float64": "double", "int": "long", "int64": "long", "bool": "boolean", "float32": "float"}.get(kind, kind)),
 }
 _NULL_TESTS = {"isnull", "isnan", "notnull"}
@@ -84,15 +84,16 @@ class Compiler(ast.NodeVisitor):
         text = _QUOTED.sub(lambda m: slots[m[1]], formula)
         self.slots = {s: p for p, s in slots.items()}
         tree = ast.parse(text.strip().replace("\n", " ") if "=" not in re.sub(r"[=!<>]=|\([^()]*\)", "", text) else text.strip(), mode="exec")
-        result = None
+        result, assigned = None, set()
         for node in tree.body:
             if isinstance(node, ast.Assign) and len(node.targets) == 1 and isinstance(node.targets[0], ast.Name):
                 self.names[node.targets[0].id] = result = self.visit(node.value)
+                assigned.add(node.targets[0].id)
             elif isinstance(node, ast.Expr):
                 result = self.visit(node.value)
             else:
                 raise FormulaError(f"statement {type(node).__name__}")
-        return self.names.get("new_data", result)
+        return self.names["new_data"] if "new_data" in assigned else result
 
     def generic_visit(self, node):
         raise FormulaError(f"{type(node).__name__} is not part of formulas")

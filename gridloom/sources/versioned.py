@@ -221,7 +221,7 @@ class TensorTable(Storage):
         for d in old.dims:
             t = t.using(t.df.join(old.coords[d].select(d), d, "left_semi"), coords={k: (c.join(old.coords[d].select(d), d, "left_semi") if k == d else c) for k, c in t.coords.items()})
         axes = {d: (old.coords[d] if d in (complete or ()) else t.axis(d)).select(d).distinct() for d in old.dims}
-        if t.df.isEmpty() and all(d not in t.coords for d in t.dims):
+        if any(t.axis(d).isEmpty() for d in old.dims):  # on some axis none of the labels is stored
             return None
         flags = old.df
         for d in old.dims:
