@@ -107,13 +107,12 @@ class ShardSet:
         return self.manifest()["version"]
 
     def _merged(self, groups: list[list], schema) -> list[list]:
-        """One job: the scan packs small files into tasks of the target size, and each task writes one file."""
+        """One job without a shuffle: each of its tasks reads several small files and writes one file."""
         session = self.spark.newSession()  # the settings below are this job's alone
         session.conf.set("spark.sql.files.maxPartitionBytes", str(self.target))
         session.conf.set("spark.sql.files.openCostInBytes", "0")
-        session.conf.set("spark.sql.files.minPartitionNum", str(max(1, len(groups))))
         rows = session.read.schema(_schema(schema)).parquet(*[s[0] for g in groups for s in g])
-        return self._written(rows)
+        return self._written(rows.coalesce(len(groups)))
 
     # reading
 
