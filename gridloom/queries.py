@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,15 +23,23 @@ G AS (SELECT d.day, u.user_id, E.v FROM (SELECT DISTINCT day FROM E) d CROSS JOI
 
 
 def query(name: str, sql: str | None = None):
+    """Register a query. Dates leave both engines as text, which compares alike whatever reads them."""
+
     def add(f):
-        QUERIES[name] = f
+        QUERIES[name] = lambda s, d: _plain(f(s, d))
         if sql:
             SQL[name] = f"WITH {BASE}{sql}"
+            if re.search(r"SELECT (\w\.)?day, ", sql):
+                SQL[name] = f"SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM ({SQL[name]})"
         return f
 
     return add
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("string").alias(c) if kind == "date" else F.col(c) for c, kind in df.dtypes])
+
+
 def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{table}.parquet")
 
@@ -130,7 +140,7 @@ def _moving(name, sql, **options):
 _moving("roll_mean_valid", f" SELECT day, user_id, CASE WHEN count(v) OVER {_R3} >= 2 THEN round(avg(v) OVER {_R3}, 6) END AS v FROM E", operator="mean", min_periods=2, rounded=True)
 _moving("roll_sum_rows", f" SELECT day, user_id, CASE WHEN count(v) OVER {_R3} >= 1 THEN round(sum(v) OVER {_R3}, 6) END AS v FROM G", operator="sum", min_periods=1, drop_nan=False, rounded=True)
 _moving("roll_std_pop", f" SELECT day, user_id, CASE WHEN count(v) OVER {_R3} >= 3 THEN round(stddev_pop(v) OVER {_R3}, 5) END AS v FROM E", operator="std")
-QUERIES["roll_std_pop"] = lambda s, d: _round(op.rolling(tensor_E(s, d), "day", 3, "std"), 5)
+QUERIES["roll_std_pop"] = lambda s, d: _plain(_round(op.rolling(tensor_E(s, d), "day", 3, "std"), 5))
 _moving("roll_median", f" SELECT day, user_id, CASE WHEN count(v) OVER {_R3} >= 1 THEN round(median(v) OVER {_R3}, 6) END AS v FROM E", operator="median", min_periods=1, rounded=True)
 _moving("roll_min", f" SELECT day, user_id, CASE WHEN count(v) OVER {_R3} >= 1 THEN min(v) OVER {_R3} END AS v FROM E", operator="min", min_periods=1)
 _moving("roll_max", f" SELECT day, user_id, CASE WHEN count(v) OVER {_R3} >= 1 THEN max(v) OVER {_R3} END AS v FROM E", operator="max", min_periods=1)
@@ -199,7 +209,7 @@ query("select_positions", " SELECT day, user_id, v FROM E WHERE day IN (SELECT D
 query("where_mask", " SELECT brand, size, CASE WHEN v > 2 THEN v ELSE 0.0 END AS v FROM P")(lambda s, d: (lambda t: _out(op.where(t, t > 2, 0.0)))(tensor_P(s, d)))
 query("isin_values", " SELECT brand, size, v IN (1, 3) AS v FROM P")(lambda s, d: _out(op.isin(tensor_P(s, d), [1.0, 3.0])))
 query("fillna", " SELECT day, user_id, coalesce(v, -1.0) AS v FROM G")(lambda s, d: _out(op.fillna(tensor_E(s, d), -1.0)))
-query("last_valid_label", " SELECT user_id, max(day) AS v FROM E GROUP BY 1")(lambda s, d: _out(op.last_valid_label(tensor_E(s, d), "day")))
+query("last_valid_label", " SELECT user_id, CAST(max(day) AS VARCHAR) AS v FROM E GROUP BY 1")(lambda s, d: _out(op.last_valid_label(tensor_E(s, d), "day")))
 query("unique_values", " SELECT DISTINCT v FROM P")(lambda s, d: op.unique_values(tensor_P(s, d)))
 
 # groups
@@ -238,7 +248,7 @@ query("reduce_sum", " SELECT brand, sum(v) AS v FROM P GROUP BY 1")(lambda s, d:
 query("reduce_first_last", " SELECT user_id, arg_min(v, day) AS first, arg_max(v, day) AS last FROM E GROUP BY 1")(
     lambda s, d: (lambda t: op.reduce_dims(t, "first", "day").rename(v="first").df.join(op.reduce_dims(t, "last", "day").rename(v="last").df, "user_id"))(tensor_E(s, d))
 )
-query("cube_counts", " SELECT brand, size % 5 AS g, sum(v) AS v FROM P GROUP BY CUBE (1, 2)")(lambda s, d: tensor_P(s, d).df.withColumn("g", F.col("size") % 5).cube("brand", "g").agg(F.sum("v").alias("v")))
+query("cube_counts", " SELECT coalesce(brand, 'all') AS brand, coalesce(size % 5, -1) AS g, sum(v) AS v FROM P GROUP BY CUBE (brand, size % 5)")(lambda s, d: tensor_P(s, d).df.withColumn("g", F.col("size") % 5).cube("brand", "g").agg(F.sum("v").alias("v")).select(F.coalesce("brand", F.lit("all")).alias("brand"), F.coalesce("g", F.lit(-1)).cast("long").alias("g"), "v"))
 
 # two tensors
 
