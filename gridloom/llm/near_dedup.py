@@ -10,8 +10,8 @@ exactly.
 Plan: (1) one pass over the texts writes signatures, with texts compressed beside them; (2) documents
 with equal sets form one class, so copies cost nothing further on; (3) in each band bucket every class
 is paired with the bucket's best connected class (a star, not all pairs: of a text and its edited copies
-that is the text), the pairs are estimated and verified in rounds, best first, and pairs inside one
-component are dropped; (4) a bucket that still spans several
+that is the text), the pairs are estimated and verified in rounds, those with most shared buckets first, and
+pairs that then lie inside one component are dropped before anything is joined to them; (4) a bucket that still spans several
 components is completed: members outside its largest component meet every member of another one, under
 the same estimate, so no link between different texts is lost to the star. Components come from
 alternating star steps. Nothing about all documents reaches the driver.
@@ -45,6 +45,8 @@ REGISTERS, BAND, MANTISSA = 256, 8, 10
 MARGIN = 0.12
 #: Sets smaller than this lend so few registers that the estimate is too coarse to drop a pair.
 LEAST = 64
+#: Rounds in which each class is compared with its best partner only, before all pairs between components are.
+BEST_FIRST = 2
 #: Where an empty bucket looks for a register: for each attempt and bucket another bucket, all in the end.
 _LENDERS = np.stack([np.random.default_rng(977 + i).permutation(REGISTERS) for i in range(REGISTERS)], axis=1)
 
@@ -210,15 +212,18 @@ def _link(spark, signed: DataFrame, classes: DataFrame, size: int, num: int, den
 
     sides = [classes.select(F.col("node").alias(s), F.col("regs").alias(f"regs_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab"]
 
-    def proposed(pairs: DataFrame, name: str) -> DataFrame:
-        fits = pairs.join(sides[1], "b").join(sides[0], "a").where(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}")
-        return materialize(fits.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(_estimated(threshold), "a long, b long, est double"), name)
-
-    star = shared.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
-    open_pairs = proposed(star, "near-star")
-    links = labels = texts = tested = None
-    completed = False
-    rounds = 0
+    def likely(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sizes allow a link and whose registers suggest one."""
+        fits = pairs.select("a", "b").join(sides[1], "b").join(sides[0], "a").where(f"least(n_a, n_b) * {den} >= greatest(n_a, n_b) * {num}")
+        return fits.select("a", "b", "regs_a", "regs_b", "n_a", "n_b").mapInArrow(_estimated(threshold), "a long, b long, est double")
+
+    star = shared.where("node <> pivot").groupBy(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).agg(F.count("*").alias("votes"))
+    open_pairs = materialize(star, "near-star")
+    if open_pairs.isEmpty():
+        return None
+    texts = _texts(spark, signed, classes, shared.select("node").distinct())
+    links = labels = tested = None
+    completed, rounds = False, 0
     while True:
         if labels is not None:
             open_pairs = materialize(_between(open_pairs, labels, tested), "near-open")
@@ -226,24 +231,20 @@ def _link(spark, signed: DataFrame, classes: DataFrame, size: int, num: int, den
             if completed:
                 return labels
             completed = True
-            cross = _unfinished(shared, labels)
-            open_pairs = proposed(cross, "near-cross")
-            if tested is not None:
-                open_pairs = materialize(open_pairs.join(tested, ["a", "b"], "left_anti"), "near-open")
-            texts = None
+            open_pairs = materialize(_unfinished(shared, labels).join(tested, ["a", "b"], "left_anti"), "near-cross")
             if open_pairs.isEmpty():
                 return labels
-        if texts is None:
-            texts = _texts(spark, signed, classes, open_pairs)
         rounds += 1
-        batch = open_pairs
-        if rounds == 1:  # first the best partner of each; most other pairs then lie inside a component
-            ends = open_pairs.unionByName(open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
-            batch = ends.groupBy("b").agg(F.max_by("a", F.struct("est", "a")).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        sent = batch.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("packed").alias("packed_b")), "b")
+        batch = open_pairs.select("a", "b")
+        if rounds <= BEST_FIRST:  # of each its best partner; most other pairs then lie inside a component
+            ends = open_pairs.unionByName(open_pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "votes"))
+            best = ends.groupBy("b").agg(F.max_by("a", F.struct("votes", "a")).alias("a"))
+            batch = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-best")
+        tested = batch if tested is None else tested.unionByName(batch)
+        chosen = materialize(likely(batch), "near-likely").select("a", "b")
+        sent = chosen.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("packed_b")), "b")
         sent = sent.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("packed_a")), "a")
         done = materialize(sent.select("a", "b", "packed_a", "packed_b").mapInArrow(_verified(size, num, den), "a long, b long, link boolean, common long"), "near-verified")
-        tested = done.select("a", "b") if tested is None else tested.unionByName(done.select("a", "b"))
         found = done.where("link").select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = found if links is None else links.unionByName(found)
         labels = materialize(connected_components(links), "near-labels")
@@ -253,7 +254,7 @@ def _between(pairs: DataFrame, labels: DataFrame, tested: DataFrame) -> DataFram
     """The pairs that are not tested yet and whose ends lie in different components."""
     la, lb = (labels.select(F.col("node").alias(s), F.col("label").alias(f"label_{s}")) for s in "ab")
     rest = pairs.join(tested, ["a", "b"], "left_anti").join(la, "a", "left").join(lb, "b", "left")
-    return rest.where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b", "est")
+    return rest.where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b", "votes")
 
 
 def _unfinished(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -269,12 +270,11 @@ def _unfinished(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
     rows = materialize(rows.join(spread, "band"), "near-unfinished")
     outside = rows.where("label <> main").select("band", F.col("node").alias("x"), F.col("label").alias("lx"))
     pairs = outside.join(rows.select("band", F.col("node").alias("y"), F.col("label").alias("ly")), "band").where("lx <> ly")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return pairs.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("votes"))
 
 
-def _texts(spark, signed: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, packed text) of the classes that occur in pairs; a Bloom filter keeps the rest in place."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def _texts(spark, signed: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, packed text) of the classes that share a bucket; a Bloom filter keeps the rest in place."""
     wanted = materialize(classes.select("node", "digest").join(nodes, "node", "left_semi"), "near-wanted")
     bloom = spark.sparkContext.broadcast(bloom_of_digests(wanted, "digest", wanted.count()))
     sent = signed.select("digest", "packed").mapInArrow(_passing(bloom), "digest binary, packed binary")
