@@ -8,6 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom import operators as op
+from gridloom.functions.formula import evaluate
+from gridloom.shared import scratch_path
+from gridloom.sources.buffer import BufferedTable
+from gridloom.sources.generated import tensor_from_function
+from gridloom.sources.versioned import TensorTable
+from gridloom.streaming.ingest import into_table, windowed_cells
 from gridloom.tensor import Tensor
 
 QUERIES: dict = {}
@@ -280,3 +286,101 @@ def _append_previous(s, d):
 query("dot_product", f", {_V3} SELECT X.vec_id, sum(X.v * Y.v) AS v FROM X JOIN X Y ON X.i = Y.i AND Y.vec_id = 0 GROUP BY 1")(
     lambda s, d: (lambda t: _out(op.dot(t, Tensor(t.df.where("vec_id = 0").select("i", "v"), ("i",), ("v",)), "i")))(tensor_V(s, d))
 )
+
+# stored tensors: each query writes to a new place in the shared folder and reads its last version
+
+
+def _table(s, **options) -> TensorTable:
+    return TensorTable(s, scratch_path(s, "query-table"), data_names="v", **options)
+
+
+def _part(t: Tensor, condition: str, f=lambda c: c) -> Tensor:
+    return t.using(t.df.where(condition)).map(f)
+
+
+_OLD = ", O AS (SELECT * FROM P WHERE size <= 30 AND brand < 'Brand#15')"
+_CELL = "size IN (SELECT size FROM {0}) AND brand IN (SELECT brand FROM {0})"
+
+
+@query("store_append_read", f"{_OLD} SELECT brand, size, v FROM O UNION ALL SELECT brand, size, v + 100 FROM P WHERE NOT ({_CELL.format('O')})")
+def _store_append(s, d):
+    t, table = tensor_P(s, d), _table(s, sorted_coords={"size": True})
+    table.store(_part(t, "size <= 30 and brand < 'Brand#15'"))
+    table.append(t + 100)
+    return _out(table.read().valid())
+
+
+_UPDATE = ", U AS (SELECT brand, size, v * 10 AS v FROM P WHERE size IN (3, 7, 11, 20) AND v >= 2)"
+
+
+@query("store_update_read", f"{_UPDATE} SELECT brand, size, v FROM U UNION ALL SELECT brand, size, v FROM P WHERE NOT ({_CELL.format('U')})")
+def _store_update(s, d):
+    t, table = tensor_P(s, d), _table(s)
+    table.store(t)
+    table.update(_part(t, "size in (3, 7, 11, 20) and v >= 2", lambda c: c * 10))
+    return _out(table.read().valid())
+
+
+@query("store_upsert_read", " SELECT brand, size, CASE WHEN size <= 20 THEN v ELSE v + 1000 END AS v FROM P")
+def _store_upsert(s, d):
+    t, table = tensor_P(s, d), _table(s, chunks={"size": 10})
+    table.store(_part(t, "size <= 30"))
+    table.upsert(_part(t, "size > 20", lambda c: c + 1000))
+    return _out(table.read().valid())
+
+
+@query("store_drop_read", " SELECT brand, size, v FROM P WHERE size NOT IN (SELECT DISTINCT size FROM P ORDER BY size LIMIT 3) AND brand <> (SELECT min(brand) FROM P)")
+def _store_drop(s, d):
+    t, table = tensor_P(s, d), _table(s)
+    table.store(t)
+    table.drop({"size": op.isel(t, size=[0, 1, 2]).labels("size"), "brand": op.isel(t, brand=0).labels("brand")})
+    return _out(table.read().valid())
+
+
+@query("store_snapshot_read", " SELECT brand, size, v FROM P WHERE size <= 30")
+def _store_snapshot(s, d):
+    t, table = tensor_P(s, d), _table(s)
+    first = table.store(_part(t, "size <= 30"))
+    table.append(t)
+    return _out(table.read(version=first if isinstance(first, int) else 1).valid())
+
+
+@query("buffered_read", " SELECT brand, size, CASE WHEN size = 40 THEN -v ELSE v END AS v FROM P")
+def _buffered(s, d):
+    t, buffer = tensor_P(s, d), BufferedTable(_table(s), "size", 25, merge_cache=True)
+    buffer.store(_part(t, "size <= 20"))
+    buffer.append(_part(t, "size between 21 and 40"))
+    buffer.append(_part(t, "size > 40"))
+    buffer.update(_part(t, "size = 40", lambda c: -c))
+    return _out(buffer.read().valid())
+
+
+# formulas, generated tensors, event time
+
+query("formula_text", f", W AS (SELECT day, user_id, v, CASE WHEN count(v) OVER {_R3} = 3 THEN sum(v) OVER {_R3} END AS r FROM G) SELECT day, user_id, round(v * 2 + r, 4) AS v FROM W WHERE v IS NOT NULL AND r IS NOT NULL")(
+    lambda s, d: _round(evaluate("`a/e` * 2 + `a/e`.rolling({'day': 3}).sum()", lambda path: tensor_E(s, d)).valid(), 4)
+)
+query("generated_cells", ", A AS (SELECT unnest(range(40)) AS a), B AS (SELECT unnest(range(7)) AS b) SELECT a, b, CAST(a * 100 + b AS DOUBLE) AS v FROM A CROSS JOIN B")(
+    lambda s, d: _out(tensor_from_function(s, lambda labels: [[a * 100.0 + b for b in labels["b"]] for a in labels["a"]], ["a", "b"], {"a": list(range(40)), "b": list(range(7))}, data_names="v", chunks={"a": 16, "b": 3}))
+)
+query("window_cells", " SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS window_day, event_type, round(sum(value), 4) AS v FROM events GROUP BY 1, 2")(
+    lambda s, d: windowed_cells(_read(s, d, "events"), "ts", ["event_type"], "value").select(F.to_date("window_start").alias("window_day"), "event_type", F.round("value", 4).alias("v"))
+)
+
+
+@query("stream_ingest_read", " SELECT day, event_type, v FROM T")
+def _stream_ingest(s, d):
+    """The events as a stream: each micro-batch is counted by cell and added to what is stored."""
+    events = _read(s, d, "events")
+    stream = s.readStream.schema(events.schema).parquet(f"{d}/events.parquet*")
+    table = _table(s)
+
+    def cells(batch: DataFrame) -> DataFrame:
+        new = batch.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").cast("double").alias("v"))
+        if not table.exist():
+            return new
+        old = table.read().df.select("day", "event_type", F.col("v").alias("before"))
+        return new.join(old, ["day", "event_type"], "left").select("day", "event_type", (F.col("v") + F.coalesce("before", F.lit(0.0))).alias("v"))
+
+    into_table(stream, table, ["day", "event_type"], scratch_path(s, "query-stream"), transform=cells).awaitTermination()
+    return _out(table.read().valid())
