@@ -7,7 +7,8 @@ injects the best-filled bins of one parent into the other, removes the bins that
 best-fits what was displaced; mutation empties the worst bins. Between epochs an island's elite migrates
 to the next island of its block. An island stops early once its block reaches the bound
 ceil(tokens / capacity), which no packing can beat. Badly filled bins of all blocks are then opened and
-packed together, level by level, until one block is left.
+packed together, level by level, until one block is left or a level gains nothing worth its pass
+(``LEAST_GAIN``); of the last two packings of the open pieces the one with fewer bins is then kept whole.
 
 Defined cases: null or empty texts are packed as the end id alone; a text of any length is cut into full
 sequences and a rest; repeated rows are packed as often as they occur; null ids are packed like others;
@@ -32,6 +33,8 @@ BLOCK = 4096  # pieces that an island packs
 ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 6
 #: Bins filled less than this are opened again on the next level.
 WELL_FILLED = 0.985
+#: Levels go on while one needs at least this share fewer bins for the opened pieces, or leaves this share fewer open.
+LEAST_GAIN = 0.01
 
 
 def best_fit(lengths: list[int], order, capacity: int, bins: list[list[int]] | None = None) -> list[list[int]]:
@@ -180,7 +183,8 @@ def _next_epoch(capacity: int, epoch: int):
 
 def pack_items(items: DataFrame, capacity: int, block_size: int = BLOCK) -> DataFrame:
     """(uid, sequence_id, offset) of items (uid long, length long) that are shorter than a sequence."""
-    open_items, level, parts = items.select("uid", "length"), 0, []
+    open_items, level, parts, last = items.select("uid", "length"), 0, [], None
+    enough = F.lit(int(WELL_FILLED * capacity))
     while True:
         n = open_items.count()
         if not n:
@@ -204,8 +208,14 @@ def pack_items(items: DataFrame, capacity: int, block_size: int = BLOCK) -> Data
         if blocks == 1:
             parts.append(placed)
             break
-        parts.append(placed.where(F.col("fill") >= F.lit(int(WELL_FILLED * capacity))))
-        open_items, level = placed.where(F.col("fill") < F.lit(int(WELL_FILLED * capacity))).select("uid", "length"), level + 1
+        sizes = placed.groupBy("sequence_id").agg(F.max("fill").alias("fill"), F.count("*").alias("k"))
+        row = sizes.agg(F.count("*").alias("bins"), F.count(F.when(F.col("fill") < enough, 1)).alias("open"), F.sum(F.when(F.col("fill") < enough, F.col("k"))).alias("items")).first()
+        if last and row["bins"] > last[1] * (1 - LEAST_GAIN) and (row["items"] or 0) > n * (1 - LEAST_GAIN):
+            parts.append(placed if row["bins"] <= last[1] else last[0])
+            break
+        parts.append(placed.where(F.col("fill") >= enough))
+        last = placed.where(F.col("fill") < enough), row["open"]
+        open_items, level = last[0].select("uid", "length"), level + 1
     if not parts:
         return items.select("uid", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset")).where("false")
     out = parts[0]
