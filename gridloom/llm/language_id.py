@@ -169,6 +169,11 @@ def remainder(id_col: str, modulus: int):
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus))
 
 
+def held_out_rows(id_col: str, modulus: int, value: int):
+    """Whether a row is held out; a null id has no remainder, so its row is: nothing is learned from it."""
+    return F.coalesce(remainder(id_col, modulus) == value, F.lit(True))
+
+
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = predict(docs, fit(docs, remainder("doc_id", 4) != 2))

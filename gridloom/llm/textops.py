@@ -6,6 +6,8 @@ rules look at ASCII bytes only, so they hold for UTF-8 as it stands.
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -38,14 +40,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     size = _BLOCK + 4096
     while size < n + 1:
         size *= 2
-    if size not in _POWERS:
-        out = []
-        for base in (_BASE, _BASE_INVERSE):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            out.append(np.multiply.accumulate(x))
+    if size in _POWERS:
+        return _POWERS[size]
+    out = []
+    for base in (_BASE, _BASE_INVERSE):
+        x = np.full(size, base, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    if size == _BLOCK + 4096:  # those of a rare longer span are not kept
         _POWERS[size] = tuple(out)
-    return _POWERS[size]
+    return tuple(out)
 
 
 def crc_of_id(value) -> int:
@@ -64,8 +68,11 @@ def words_of(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     space = _SPACE[buffer]
     edges = np.flatnonzero(np.diff(space.view(np.int8), prepend=np.int8(1)))
     starts, ends = edges[0::2], edges[1::2]
-    if not len(starts):
-        return starts, ends, np.zeros(0, np.uint64)
+    return starts, ends, hash_spans(buffer, starts, ends)
+
+
+def hash_spans(buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of a buffer, which come in order and do not overlap."""
     hashes = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
@@ -80,7 +87,7 @@ def words_of(buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         s, e = starts[at:upto] - base, ends[at:upto] - base
         hashes[at:upto] = mix64((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64))
         at = upto
-    return starts, ends, hashes
+    return hashes
 
 
 def words_by_document(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,18 +135,39 @@ def sorted_common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def slices_by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``limit`` bytes of ``column`` (one row at least)."""
-    for batch in batches:
-        array = batch.column(batch.schema.get_field_index(column))
-        if not batch.num_rows:
-            continue
-        lengths = pc.binary_length(array).fill_null(0).to_numpy(zero_copy_only=False)
-        marks = np.cumsum(lengths, dtype=np.int64) // limit
-        cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), batch.num_rows]
-        for s, e in zip(cuts, cuts[1:]):
-            if e > s:
-                yield batch.slice(s, e - s)
+def slices_by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each holds about ``limit`` bytes of ``column`` (one row at least) and at most ``rows`` rows.
+
+    At the end the worker, which Spark keeps for later tasks, gives back the memory that it has freed."""
+    try:
+        for batch in batches:
+            array = batch.column(batch.schema.get_field_index(column))
+            if not batch.num_rows:
+                continue
+            lengths = pc.binary_length(array).fill_null(0).to_numpy(zero_copy_only=False)
+            marks = np.cumsum(lengths, dtype=np.int64) // limit
+            cuts = [0, *(np.flatnonzero(np.diff(marks)) + 1).tolist(), batch.num_rows]
+            for s, e in zip(cuts, cuts[1:]):
+                for k in range(s, e, rows):
+                    yield batch.slice(k, min(rows, e - k))
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: the C library and Arrow keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def _libc():
+    library = ctypes.util.find_library("c")
+    found = ctypes.CDLL(library) if library else None
+    return found if hasattr(found, "malloc_trim") else None  # only GNU's has it
+
+
+_LIBC = _libc()
 
 
 def byte_texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
