@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom.axes import numbered
 from gridloom.tensor import Tensor
 
 __all__ = ["append_previous", "binary", "combine_first", "concat", "dot", "where"]
@@ -71,7 +72,7 @@ def _sorted_axes(a: Tensor, b: Tensor) -> dict:
     for d in a.dims:
         if d in a.coords or d in b.coords:
             labels = a.axis(d).select(d).unionByName(b.axis(d).select(d)).distinct()
-            coords[d] = labels.select(d, (F.row_number().over(Window.orderBy(d)) - 1).cast("long").alias("pos"))
+            coords[d] = numbered(labels, d)
     return coords
 
 

@@ -116,7 +116,7 @@ def apply_on_groups(t: Tensor, groups, dim: str, func: str | Callable, keep_shap
 
 
 def _over(func: str, c: Column, w, o: Column, kwargs: dict) -> Column:
-    plain = {"sum": lambda: F.coalesce(F.sum(c).over(w), F.lit(0)), "prod": lambda: F.coalesce(F.product(c).over(w), F.lit(1.0)), "mean": lambda: F.avg(c).over(w), "max": lambda: F.max(c).over(w), "min": lambda: F.min(c).over(w), "count": lambda: F.count(c).over(w), "std": lambda: F.stddev_pop(c).over(w), "var": lambda: F.var_pop(c).over(w), "median": lambda: F.percentile(c, F.lit(0.5)).over(w), "first": lambda: F.min_by(c, F.when(c.isNotNull(), o)).over(w), "last": lambda: F.max_by(c, F.when(c.isNotNull(), o)).over(w), "any": lambda: F.coalesce(F.bool_or(c.cast("boolean")).over(w), F.lit(False)), "all": lambda: F.coalesce(F.bool_and(c.cast("boolean")).over(w), F.lit(True))}
+    plain = {"sum": lambda: F.coalesce(F.sum(c).over(w), F.lit(0)), "prod": lambda: F.coalesce(F.product(c).over(w), F.lit(1.0)), "mean": lambda: F.avg(c).over(w), "max": lambda: F.max(c).over(w), "min": lambda: F.min(c).over(w), "count": lambda: F.count(c).over(w), "std": lambda: F.stddev_pop(c).over(w), "var": lambda: F.var_pop(c).over(w), "median": lambda: F.percentile(c, F.lit(0.5)).over(w), "first": lambda: F.min_by(c, F.when(c.isNotNull(), o)).over(w), "last": lambda: F.max_by(c, F.when(c.isNotNull(), o)).over(w), "nunique": lambda: F.size(F.collect_set(c).over(w)).cast("long"), "approx_nunique": lambda: F.approx_count_distinct(c).over(w), "any": lambda: F.coalesce(F.bool_or(c.cast("boolean")).over(w), F.lit(False)), "all": lambda: F.coalesce(F.bool_and(c.cast("boolean")).over(w), F.lit(True))}
     if func == "quantile":
         return F.percentile(c, F.lit(kwargs["q"])).over(w)
     return plain[func]()
@@ -132,5 +132,5 @@ def merge_duplicates(t: Tensor, func: str | Callable = "sum", dims=None, **kwarg
     """One cell for all that share every label. Labels may repeat in ``t.df`` until then."""
     df, o = t.ordered(dims) if isinstance(dims, str) else (t.df, F.lit(0))
     out = df.groupBy(*t.dims).agg(*[_aggregate(func, F.col(v), o, kwargs).alias(v) for v in t.vars])
-    coords = {d: c.groupBy(d).agg(F.min("pos").alias("pos")) for d, c in t.coords.items()}
+    coords = {d: c.groupBy(d).agg(F.min("pos").alias("pos")) if "pos" in c.columns else c.select(d).distinct() for d, c in t.coords.items()}
     return t.using(out, coords=coords)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.axes import latest, numbered
 from gridloom.tensor import Tensor
 
 __all__ = ["coordinates", "drop_labels", "drop_unmarked", "dropna", "fillna", "isel", "isin", "last_valid_label", "reindex", "replace_values", "sel", "take", "unique_values"]
@@ -66,8 +67,9 @@ def isel(t: Tensor, **positions) -> Tensor:
             tail = axis.orderBy(order.desc()).limit(-min(at)).select(dim).collect()
             chosen = [tail[-p - 1][0] for p in at if -p <= len(tail)]
         else:
-            all_labels = out.labels(dim)
-            chosen = [all_labels[p] for p in at if -len(all_labels) <= p < len(all_labels)]
+            n = axis.count()
+            places = [p % n for p in at if -n <= p < n]
+            chosen = [r[0] for r in numbered(axis.select(dim, order.alias("__o")), "__o", "__place").where(F.col("__place").isin(places)).select(dim).collect()]
         out = sel(out, **{dim: chosen})
     return out
 
@@ -176,9 +178,7 @@ def reindex(t: Tensor, dim: str, labels, method: str | None = None, fill_value=N
     if method is None:
         match = wanted.select(dim).distinct().join(axis.withColumn("__at", F.col(dim)), dim, "left")
     else:  # as-of on the axes alone: the cells are joined once the label to read is known
-        both = axis.select(F.col(dim).alias("__l"), F.lit(0).alias("__side")).unionByName(wanted.select(F.col(dim).alias("__l"), F.lit(1).alias("__side")).distinct())
-        latest = Window.orderBy("__l", "__side").rowsBetween(Window.unboundedPreceding, 0)
-        match = both.withColumn("__at", F.last(F.when(F.col("__side") == 0, F.col("__l")), ignorenulls=True).over(latest)).where("__side = 1").select(F.col("__l").alias(dim), "__at")
+        match = latest(axis, wanted, dim)
     others = t.others(dim)
     cells = t.df.withColumnRenamed(dim, "__at")
     targets = wanted.join(match, dim)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.axes import numbered
 from gridloom.tensor import POS, Tensor, along
 
 __all__ = ["MOVING", "cumulative_on_sort", "ffill", "map_along_axis", "multi_rank", "rank", "rolling", "rolling_overlap", "rolling_rows", "shift_on_valid", "topk_mask"]
@@ -101,6 +102,10 @@ def multi_rank(t: Tensor, tie_dim: str, dim: str) -> Tensor:
     wide = Tensor(df, tuple(t.others(tie_dim)), tuple(columns), {d: c for d, c in t.coords.items() if d != tie_dim})
     df, o = wide.ordered(dim)
     first = F.col(columns[0])
+    if not wide.others(dim):  # one series: its axis is cut into ranges
+        key = F.struct(*[x for c in columns for x in (F.col(c).isNull(), F.col(c))], o)
+        df = numbered(df, key, "__place").withColumn("__r", F.when(first.isNotNull(), (F.col("__place") + 1).cast("double")))
+        return _spread(t, df, tie_dim, labels, F.col("__r"))
     w = Window.partitionBy(*[F.col(d) for d in wide.others(dim)], first.isNull()).orderBy(*[F.col(c).asc_nulls_last() for c in columns], o)
     r = F.when(first.isNotNull(), F.row_number().over(w).cast("double"))
     return _spread(t, df.withColumn("__r", r), tie_dim, labels, F.col("__r"))
@@ -227,8 +232,14 @@ def topk_mask(t: Tensor, dim: str, k: int, tie_breaker_dim: str | None = None, o
             return t.using(top.where(F.col(v).isNotNull()).select(*t.dims, F.lit(True).alias(v)))
         return _back(t, t.df, r)
     df, columns, labels = _pivoted(t, tie_breaker_dim)
-    w = Window.partitionBy(*[F.col(d) for d in t.dims if d not in (dim, tie_breaker_dim)]).orderBy(*[F.col(c).desc_nulls_last() for c in columns])
-    df = df.withColumn("__t", (F.rank().over(w) <= k) & F.col(columns[0]).isNotNull())
+    series = [F.col(d) for d in t.dims if d not in (dim, tie_breaker_dim)]
+    if series:
+        w = Window.partitionBy(*series).orderBy(*[F.col(c).desc_nulls_last() for c in columns])
+        df = df.withColumn("__t", (F.rank().over(w) <= k) & F.col(columns[0]).isNotNull())
+    else:  # one series: compared with its k-th largest, which a distributed top-k finds
+        key = F.struct(*columns)  # in structs a null is below everything
+        least = df.select(key.alias("__k")).orderBy(F.desc("__k")).limit(k).agg(F.min("__k").alias("__least"))
+        df = df.crossJoin(F.broadcast(least)).withColumn("__t", F.coalesce(key >= F.col("__least"), F.lit(False)) & F.col(columns[0]).isNotNull())
     return _spread(t, df.where("__t") if only_true else df, tie_breaker_dim, labels, F.col("__t"))
 
 

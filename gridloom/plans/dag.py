@@ -53,10 +53,11 @@ def capacity_edges(names: list[str], most: int) -> dict[str, list[str]]:
     return {n: [names[i - most]] if i >= most else [] for i, n in enumerate(names)}
 
 
-def grouped_chunks(items: Iterable[Hashable], group_of: Callable, most_by_group: dict) -> list[list]:
-    """Batches in which no group has more items than its cap (no cap: all at once); groups side by side."""
+def grouped_chunks(items: Iterable[Hashable], group_of: Callable, most_by_group: dict, sort_key: Callable | None = None) -> list[list]:
+    """Batches in which no group has more items than its cap (no cap: all at once); groups side by side, in the
+    order in which they come, or in that of ``sort_key``, as the items of each group."""
     queues: dict = {}
-    for item in items:
+    for item in sorted(items, key=sort_key) if sort_key else items:
         queues.setdefault(group_of(item), []).append(item)
     out = []
     while any(queues.values()):

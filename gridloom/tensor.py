@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,8 +82,12 @@ class Tensor:
         return out
 
     def dense(self) -> Tensor:
-        """A row for every cell; missing cells are NULL."""
-        return self.using(self.grid().join(self.df, list(self.dims), "left"))
+        """A row for every cell; missing cells are NULL. A null label is a label like others."""
+        grid = self.grid().select(*[F.col(d).alias(f"__grid_{d}") for d in self.dims])
+        same = [F.col(f"__grid_{d}").eqNullSafe(F.col(d)) for d in self.dims]
+        met = grid.join(self.df, reduce(lambda a, b: a & b, same), "left") if same else self.df
+        kept = [c for c in self.df.columns if c not in self.dims]  # operators' helper columns too
+        return self.using(met.select(*[F.col(f"__grid_{d}").alias(d) for d in self.dims], *kept))
 
     def ordered(self, dim: str) -> tuple[DataFrame, Column]:
         """Rows and the column to order them by along ``dim``."""
@@ -147,7 +152,8 @@ class Tensor:
     def __rtruediv__(self, o): return self._op(o, lambda a, b: divide(b, a))  # noqa: E704
     def __mod__(self, o): return self._op(o, lambda a, b: F.pmod(a, F.nullif(b, F.lit(0))))  # noqa: E704
     def __floordiv__(self, o): return self._op(o, lambda a, b: F.floor(divide(a, b)))  # noqa: E704
-    def __pow__(self, o): return self._op(o, lambda a, b: F.pow(a, b))  # noqa: E704
+    def __pow__(self, o): return self._op(o, power)  # noqa: E704
+    def __rpow__(self, o): return self._op(o, lambda a, b: power(b, a))  # noqa: E704
     def __gt__(self, o): return self._op(o, lambda a, b: a > b)  # noqa: E704
     def __ge__(self, o): return self._op(o, lambda a, b: a >= b)  # noqa: E704
     def __lt__(self, o): return self._op(o, lambda a, b: a < b)  # noqa: E704
@@ -165,6 +171,12 @@ def divide(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+def power(a: Column, b: Column) -> Column:
+    """A power that is no real number gives a missing cell."""
+    out = F.pow(a, b)
+    return F.when(~F.isnan(out), out)
+
+
 def along(t: Tensor, dim: str, *more) -> Window:
     """One series for each combination of the other labels."""
     return Window.partitionBy(*[F.col(d) for d in t.others(dim)], *more)
