@@ -7,19 +7,29 @@ code works on ``file:``, ``hdfs:`` and object stores.
 from __future__ import annotations
 
 import json
+import os
+import re
+import site
 import tempfile
+import time
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: set[str] = set()  # scratch folders that are to go at the end
+_SHIPPED: set[str] = set()  # applications whose workers have the package
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a temporary one, in local mode alone: on a
+    cluster other machines would not see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gridloom-")
         spark.sparkContext.setCheckpointDir(root)
         return spark.sparkContext._jsc.sc().getCheckpointDir().get()
@@ -27,7 +37,32 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/gridloom/{name}-{uuid.uuid4().hex}"
+    """A fresh place in the application's own folder, which goes when the driver ends."""
+    folder = f"{shared_root(spark).rstrip('/')}/gridloom/{spark.sparkContext.applicationId}"
+    if folder not in _OWN:
+        fs, p = _fs(spark, folder)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _OWN.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to Python workers that have no other way to it (once a session)."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    context = spark.sparkContext
+    reached = [os.path.abspath(p) for p in (*os.environ.get("PYTHONPATH", "").split(os.pathsep), *site.getsitepackages()) if p]
+    if root in reached or context.applicationId in _SHIPPED:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="gridloom-"), "gridloom.zip")  # the driver hands it out itself
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "gridloom")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
 
 
 def materialize(df: DataFrame, name: str, path: str | None = None, **options) -> DataFrame:
@@ -57,6 +92,13 @@ def delete(spark: SparkSession, path: str) -> bool:
     return fs.delete(p, True)
 
 
+def age(spark: SparkSession, path: str) -> float:
+    """Seconds since the newest file directly below ``path``, or the folder itself, was changed."""
+    fs, p = _fs(spark, path)
+    times = [s.getModificationTime() for s in fs.listStatus(p)] + [fs.getFileStatus(p).getModificationTime()]
+    return time.time() - max(times) / 1000
+
+
 def list_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly below ``path``; empty when it does not exist."""
     fs, p = _fs(spark, path)
