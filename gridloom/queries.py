@@ -4,24 +4,26 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridloom import operators as op
 from gridloom.functions.formula import evaluate
+from gridloom.plans.client import Client
 from gridloom.shared import scratch_path
 from gridloom.sources.buffer import BufferedTable
-from gridloom.sources.generated import tensor_from_function
+from gridloom.sources.documents import DocumentStore
+from gridloom.sources.generated import empty_tensor, tensor_from_function
 from gridloom.sources.versioned import TensorTable
-from gridloom.streaming.ingest import into_table, windowed_cells
+from gridloom.streaming.ingest import into_table, session_cells, windowed_cells
 from gridloom.tensor import Tensor
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-#: Base tensors as SQL: E (day x user), with holes; L has duplicate coordinates; P has gaps.
+#: Base tensors as SQL: E (day x user) and P have gaps, as not every user has events every day; L has duplicate coordinates.
 BASE = """
-E AS (SELECT CAST(ts AS DATE) AS day, user_id, round(sum(value), 6) AS v FROM events WHERE event_id % 7 <> 0 GROUP BY 1, 2),
+E AS (SELECT CAST(ts AS DATE) AS day, user_id, round(sum(value), 6) AS v FROM events GROUP BY 1, 2),
 T AS (SELECT CAST(ts AS DATE) AS day, event_type, CAST(count(*) AS DOUBLE) AS v FROM events GROUP BY 1, 2),
 P AS (SELECT p_brand AS brand, CAST(p_size AS BIGINT) AS size, CAST(count(*) AS DOUBLE) AS v FROM part GROUP BY 1, 2),
 G AS (SELECT d.day, u.user_id, E.v FROM (SELECT DISTINCT day FROM E) d CROSS JOIN (SELECT DISTINCT user_id FROM E) u LEFT JOIN E ON E.day = d.day AND E.user_id = u.user_id)
@@ -51,7 +53,7 @@ def _read(spark: SparkSession, d: str, table: str) -> DataFrame:
 
 
 def tensor_E(spark, d) -> Tensor:
-    e = _read(spark, d, "events").where("event_id % 7 <> 0")
+    e = _read(spark, d, "events")
     return Tensor.from_dataframe(e.groupBy(F.to_date("ts").alias("day"), "user_id").agg(F.round(F.sum("value"), 6).alias("v")), ["day", "user_id"])
 
 
@@ -194,14 +196,14 @@ query(
 )(lambda s, d: _out(op.reindex(tensor_P(s, d), "size", [60, 3, 7, 0], fill_value=-1.0).valid()))
 query(
     "reindex_ffill",
-    ", X AS (SELECT * FROM E WHERE day(day) % 2 = 0), Q AS (SELECT DISTINCT day + 3 AS day FROM E), M AS (SELECT Q.day, max(X.day) AS m FROM Q JOIN X ON X.day <= Q.day GROUP BY 1) SELECT M.day, user_id, v FROM M JOIN X ON X.day = M.m",
+    ", X AS (SELECT * FROM E WHERE isodow(day) <= 5), Q AS (SELECT DISTINCT day + 3 AS day FROM E), M AS (SELECT Q.day, max(X.day) AS m FROM Q JOIN X ON X.day <= Q.day GROUP BY 1) SELECT M.day, user_id, v FROM M JOIN X ON X.day = M.m",
 )(lambda s, d: _reindex_ffill(s, d))
 
 
 def _reindex_ffill(s, d):
     t = tensor_E(s, d)
     days = t.df.select(F.date_add("day", 3).alias("day")).distinct().withColumn("pos", F.monotonically_increasing_id())
-    return _out(op.reindex(t.using(t.df.where("day(day) % 2 = 0")), "day", days, method="ffill"))
+    return _out(op.reindex(t.using(t.df.where("weekday(day) < 5")), "day", days, method="ffill"))
 
 
 query("dropna_dims", ", X AS (SELECT brand, size, CASE WHEN v >= 6 THEN v END AS v FROM P) SELECT brand, size, v FROM X WHERE brand IN (SELECT brand FROM X WHERE v IS NOT NULL) AND size IN (SELECT size FROM X WHERE v IS NOT NULL)")(
@@ -258,18 +260,18 @@ query("cube_counts", " SELECT coalesce(brand, 'all') AS brand, coalesce(size % 5
 
 # two tensors
 
-query("formula_mul", " SELECT E.day, E.user_id, round(E.v * S.v, 4) AS v FROM E JOIN (SELECT day, user_id, v FROM E WHERE user_id % 2 = 0) S ON S.day = E.day AND S.user_id = E.user_id")(
-    lambda s, d: (lambda t: _round(t * t.using(t.df.where("user_id % 2 = 0")), 4))(tensor_E(s, d))
+query("formula_mul", " SELECT E.day, E.user_id, round(E.v * S.v, 4) AS v FROM E JOIN (SELECT day, user_id, v FROM E WHERE v > 100) S ON S.day = E.day AND S.user_id = E.user_id")(
+    lambda s, d: (lambda t: _round(t * t.using(t.df.where("v > 100")), 4))(tensor_E(s, d))
 )
 query("formula_bcast", ", S AS (SELECT user_id, max(v) AS m FROM E GROUP BY 1) SELECT day, E.user_id, round(E.v / m, 6) AS v FROM E JOIN S ON S.user_id = E.user_id")(
     lambda s, d: (lambda t: _round(t / op.reduce_dims(t, "max", "day")))(tensor_E(s, d))
 )
 query("formula_roll", f" SELECT day, user_id, CASE WHEN count(v) OVER {_R3} = 3 THEN round(sum(v) OVER {_R3}, 4) END AS v FROM G")(lambda s, d: _round(op.rolling_rows(tensor_E(s, d), "day", 3), 4))
-_HALF = ", A AS (SELECT * FROM E WHERE user_id % 3 <> 0), B AS (SELECT day, user_id, v + 1 AS v FROM E WHERE user_id % 3 <> 1)"
+_HALF = ", A AS (SELECT * FROM E WHERE v > 50), B AS (SELECT day, user_id, v + 1 AS v FROM E WHERE v < 150)"
 query("combine_first", f"{_HALF} SELECT coalesce(A.day, B.day) AS day, coalesce(A.user_id, B.user_id) AS user_id, coalesce(A.v, B.v) AS v FROM A FULL JOIN B ON A.day = B.day AND A.user_id = B.user_id")(
-    lambda s, d: (lambda t: _out(op.combine_first(t.using(t.df.where("user_id % 3 <> 0")), (t + 1).using((t + 1).df.where("user_id % 3 <> 1")))))(tensor_E(s, d))
+    lambda s, d: (lambda t: _out(op.combine_first(t.using(t.df.where("v > 50")), t.using(t.df.where("v < 150")) + 1)))(tensor_E(s, d))
 )
-query("concat_outer", " SELECT day, user_id, v FROM E")(lambda s, d: (lambda t: _out(op.concat([t.using(t.df.where("user_id % 2 = 0")), t.using(t.df.where("user_id % 2 = 1"))])))(tensor_E(s, d)))
+query("concat_outer", " SELECT day, user_id, v FROM E")(lambda s, d: (lambda t: _out(op.concat([t.using(t.df.where("weekday(day) < 5")), t.using(t.df.where("weekday(day) >= 5"))])))(tensor_E(s, d)))
 query("append_previous", ", D AS (SELECT min(day) + 10 AS first FROM E) SELECT day, user_id, v FROM E WHERE day >= (SELECT max(day) FROM E WHERE day < (SELECT first FROM D))")(
     lambda s, d: _append_previous(s, d)
 )
@@ -355,6 +357,133 @@ def _buffered(s, d):
     return _out(buffer.read().valid())
 
 
+@query("store_update_region_read", f"{_UPDATE} SELECT brand, size, v FROM U UNION ALL SELECT brand, size, v FROM P WHERE NOT ({_CELL.format('U')})")
+def _store_update_region(s, d):
+    """An update of some labels of a chunked tensor: other chunks keep their files."""
+    t, table = tensor_P(s, d), _table(s, chunks={"size": 8, "brand": 5})
+    table.store(t)
+    table.update(_part(t, "size in (3, 7, 11, 20) and v >= 2", lambda c: c * 10))
+    return _out(table.read().valid())
+
+
+@query("store_session_read", " SELECT brand, size, CASE WHEN size > 40 THEN v + 5 WHEN size = 1 THEN -v ELSE v END AS v FROM P WHERE size <> 2")
+def _store_session(s, d):
+    """Several verbs as one version."""
+    t, table = tensor_P(s, d), _table(s, sorted_coords={"size": True}, chunks={"size": 10})
+    session = table.session().store(_part(t, "size <= 40"))
+    session.append(_part(t, "size > 40", lambda c: c + 5)).update(_part(t, "size = 1", lambda c: -c)).drop({"size": [2]}).commit()
+    return _out(table.read(table.version()).valid())
+
+
+@query("store_unique_read", " SELECT brand, size, v FROM P")
+def _store_unique(s, d):
+    """Of repeated cells the first stays."""
+    t, table = tensor_P(s, d), _table(s)
+    table.store(t.using(t.to_dataframe().unionByName((t - 1000).to_dataframe())))
+    return _out(table.read())
+
+
+@query("store_variables_read", " SELECT brand, size, v AS a, v * 2 AS b FROM P")
+def _store_variables(s, d):
+    t = tensor_P(s, d)
+    table = TensorTable(s, scratch_path(s, "query-table"), data_names=["a", "b"])
+    table.store(Tensor(t.df.select("brand", "size", F.col("v").alias("a"), (F.col("v") * 2).alias("b"), F.lit(0).alias("c")), t.dims, ("a", "b", "c")))
+    return table.read().to_dataframe()
+
+
+@query("store_delete_exists", " SELECT FALSE AS before, TRUE AS stored, FALSE AS after")
+def _store_delete(s, d):
+    table = _table(s)
+    before = table.exist()
+    table.store(tensor_P(s, d))
+    stored = table.exist()
+    table.delete()
+    return s.createDataFrame([(before, stored, table.exist())], "before boolean, stored boolean, after boolean")
+
+
+@query("store_label_read", " SELECT brand, size, v FROM P WHERE size IN (5, 25) AND brand = 'Brand#12'")
+def _store_label(s, d):
+    """A read by label opens the chunks of the labels only."""
+    table = _table(s, chunks={"size": 10})
+    table.store(tensor_P(s, d))
+    return _out(table.read(size=[5, 25], brand="Brand#12").valid())
+
+
+@query("buffered_keep_last", " SELECT brand, size, v + 1000 AS v FROM P WHERE size = 7 AND v >= 2 UNION ALL SELECT brand, size, -v FROM P WHERE size = 7 AND NOT EXISTS (SELECT 1 FROM P WHERE size = 7 AND v >= 2) UNION ALL SELECT brand, size, v FROM P WHERE size <> 7")
+def _buffered_keep_last(s, d):
+    """Updates of a label that come again replace those that are pending, holes too."""
+    t, buffer = tensor_P(s, d), BufferedTable(_table(s), "size", 100, merge_cache=True, update_logic="keep_last")
+    buffer.store(t)
+    buffer.update(_part(t, "size = 7", lambda c: -c))
+    buffer.update(_part(t, "size = 7 and v >= 2", lambda c: c + 1000))
+    return _out(buffer.read().valid())
+
+
+@query("document_store_read", " SELECT n_name AS name, CAST(n_regionkey AS BIGINT) + CASE WHEN n_regionkey = 1 THEN 100 ELSE 0 END AS region FROM nation")
+def _documents(s, d):
+    """A small table as one JSON document, merged deeply with another."""
+    rows = [(r["n_name"], r["n_regionkey"]) for r in _read(s, d, "nation").select("n_name", "n_regionkey").collect()]
+    docs = DocumentStore(s, scratch_path(s, "query-documents"))
+    docs.store({"nations": dict(rows)}, "geo/all")
+    docs.upsert({"nations": {n: r + 100 for n, r in rows if r == 1}}, "geo/all")
+    return s.createDataFrame([(n, int(r)) for n, r in docs.read("geo/all")["nations"].items()], "name string, region long")
+
+
+@query("client_pipeline_read", " SELECT brand, size, v * 2 + 1 AS v FROM P")
+def _client_pipeline(s, d):
+    """A definition whose store verb runs a formula over another tensor."""
+    client = Client(s, scratch_path(s, "query-client"))
+    client.create_tensor({"path": "raw", "storage": {"data_names": "v"}})
+    client.store("raw", new_data=tensor_P(s, d))
+    formula = [{"method_name": "read_from_formula", "parameters": {"formula": "`raw` * 2 + 1"}}]
+    client.create_tensor({"path": "made", "storage": {"data_names": "v"}, "definition": {"store": {"data_transformation": formula}}})
+    client.store("made")
+    return _out(client.read("made").valid())
+
+
+@query("client_refresh_read", " SELECT brand, size, v * 3 + 1 AS v FROM P")
+def _client_refresh(s, d):
+    """Tensors that depend on one another, refreshed in order."""
+    client = Client(s, scratch_path(s, "query-client"))
+    client.create_tensor({"path": "raw", "storage": {"data_names": "v"}})
+    client.store("raw", new_data=tensor_P(s, d))
+    for path, text, depends in (("twice", "`raw` * 2", []), ("more", "`raw` + 1", []), ("sum", "`twice` + `more`", ["twice", "more"])):
+        steps = [{"method_name": "read_from_formula", "parameters": {"formula": text}}]
+        client.create_tensor({"path": path, "storage": {"data_names": "v"}, "definition": {"store": {"data_transformation": steps}}, "dag": {"depends": depends}})
+    client.exec_on_dag_order("store")
+    return _out(client.read("sum").valid())
+
+
+@query("client_catalog", " SELECT * FROM (VALUES ('a', 'first', TRUE), ('b/c', 'second', FALSE)) t(path, note, has_data)")
+def _client_catalog(s, d):
+    client = Client(s, scratch_path(s, "query-client"))
+    for path, note in (("a", "first"), ("b/c", "second"), ("gone", "x")):
+        client.create_tensor({"path": path, "storage": {"data_names": "v"}})
+        client.update_tensor_metadata(path, {"note": note})
+    client.store("a", new_data=tensor_P(s, d))
+    client.delete_tensor("gone")
+    rows = [(x.path, x.metadata["note"], client.exist(x.path)) for x in client.get_all_tensors_definition()]
+    return s.createDataFrame(rows, "path string, note string, has_data boolean")
+
+
+# several variables, functions of a whole series, other corners
+
+query("map_axis_cumsum", " SELECT brand, size, sum(v) OVER (PARTITION BY brand ORDER BY size ROWS UNBOUNDED PRECEDING) AS v FROM (SELECT b.brand, z.size, coalesce(P.v, 0) AS v FROM (SELECT DISTINCT brand FROM P) b CROSS JOIN (SELECT DISTINCT size FROM P) z LEFT JOIN P ON P.brand = b.brand AND P.size = z.size)")(
+    lambda s, d: _out(op.map_along_axis(tensor_P(s, d), "size", lambda x: x.fillna(0).cumsum()))
+)
+query("group_template", " SELECT brand, size % 5 AS size, sum(v * size) / sum(v) AS w FROM P GROUP BY 1, 2")(
+    lambda s, d: (lambda t: _out(op.apply_on_groups(Tensor(t.df.select("brand", "size", "v", F.col("size").cast("double").alias("z")), t.dims, ("v", "z")), _mod_groups(s, d, t), "size", lambda x: F.sum(x["v"] * x["z"]) / F.sum(x["v"]), template="w")))(tensor_P(s, d))
+)
+query("group_keep_nunique", ", X AS (SELECT b.brand, z.size, P.v FROM (SELECT DISTINCT brand FROM P) b CROSS JOIN (SELECT DISTINCT size FROM P) z LEFT JOIN P ON P.brand = b.brand AND P.size = z.size), N AS (SELECT brand, size % 5 AS g, count(DISTINCT v) AS n FROM X GROUP BY 1, 2) SELECT X.brand, X.size, N.n AS v FROM X JOIN N ON N.brand = X.brand AND N.g = X.size % 5")(
+    lambda s, d: (lambda t: _out(op.apply_on_groups(t, _mod_groups(s, d, t), "size", "nunique", keep_shape=True)))(tensor_P(s, d))
+)
+query("transpose_rename", " SELECT size AS z, brand AS b, v AS n FROM P")(lambda s, d: _out(tensor_P(s, d).transpose("size", "brand").rename(size="z", brand="b", v="n")))
+query("power_missing", " SELECT brand, size, CASE WHEN v >= 3 THEN sqrt(v - 3) END AS v FROM P")(lambda s, d: _out((tensor_P(s, d) - 3) ** 0.5))
+query("empty_cells", " SELECT n_name AS name, CAST(n_regionkey AS BIGINT) AS region, CAST(NULL AS DOUBLE) AS v FROM nation WHERE FALSE UNION ALL SELECT a.n_name, b.r_regionkey, NULL FROM nation a CROSS JOIN region b")(
+    lambda s, d: empty_tensor(s, ["name", "region"], {"name": [r[0] for r in _read(s, d, "nation").select("n_name").collect()], "region": [int(r[0]) for r in _read(s, d, "region").select("r_regionkey").collect()]}, name="v").dense().to_dataframe()
+)
+query("select_both_ends", " SELECT brand, size, v FROM P WHERE size IN (SELECT min(size) FROM P UNION ALL SELECT max(size) FROM P)")(lambda s, d: _out(op.isel(tensor_P(s, d), size=[0, -1])))
+
 # formulas, generated tensors, event time
 
 query("formula_text", f", W AS (SELECT day, user_id, v, CASE WHEN count(v) OVER {_R3} = 3 THEN sum(v) OVER {_R3} END AS r FROM G) SELECT day, user_id, round(v * 2 + r, 4) AS v FROM W WHERE v IS NOT NULL AND r IS NOT NULL")(
@@ -363,6 +492,19 @@ query("formula_text", f", W AS (SELECT day, user_id, v, CASE WHEN count(v) OVER
 query("generated_cells", ", A AS (SELECT unnest(range(40)) AS a), B AS (SELECT unnest(range(7)) AS b) SELECT a, b, CAST(a * 100 + b AS DOUBLE) AS v FROM A CROSS JOIN B")(
     lambda s, d: _out(tensor_from_function(s, lambda labels: [[a * 100.0 + b for b in labels["b"]] for a in labels["a"]], ["a", "b"], {"a": list(range(40)), "b": list(range(7))}, data_names="v", chunks={"a": 16, "b": 3}))
 )
+query("session_cells", ", X AS (SELECT ts, user_id, value, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS fresh FROM events), Y AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM X) SELECT user_id, k AS session, count(*) AS n, round(sum(value), 4) AS v FROM Y GROUP BY 1, 2")(
+    lambda s, d: _sessions(s, d)
+)
+
+
+def _sessions(s, d):
+    """Sessions that a gap of twelve hours ends, numbered by user."""
+    made = session_cells(_read(s, d, "events"), "ts", ["user_id"], "value", "12 hours", watermark=None)
+    counts = session_cells(_read(s, d, "events"), "ts", ["user_id"], "value", "12 hours", func="count", watermark=None).withColumnRenamed("value", "n")
+    number = F.row_number().over(Window.partitionBy("user_id").orderBy("session_start"))
+    return made.join(counts.drop("session_end"), ["session_start", "user_id"]).select("user_id", number.cast("decimal(38,0)").alias("session"), "n", F.round("value", 4).alias("v"))
+
+
 query("window_cells", " SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS window_day, event_type, round(sum(value), 4) AS v FROM events GROUP BY 1, 2")(
     lambda s, d: windowed_cells(_read(s, d, "events"), "ts", ["event_type"], "value").select(F.to_date("window_start").alias("window_day"), "event_type", F.round("value", 4).alias("v"))
 )
