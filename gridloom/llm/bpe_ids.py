@@ -124,7 +124,7 @@ class WordBpe:
 
     _loaded: dict[str, WordBpe] = {}
     #: Remembered words at most; then the memory starts afresh.
-    MOST = 500_000
+    MOST = 200_000
 
     @classmethod
     def load(cls, path: str) -> WordBpe:

@@ -11,8 +11,8 @@ the languages and chosen by a hash of the id. Everything else covers all rows an
 
 Defined cases: a null text or one without a letter gives ``und`` with score 0 (not ambiguous); with
 no labelled row every text gives ``und``; with a single language every text with a letter gets it;
-rows with a null language are never trained on; repeated rows give repeated results; extra columns
-do not take part.
+rows with a null language or id are never trained on (a null id counts as held out); repeated rows give
+repeated results; extra columns do not take part.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ from gridloom.llm.textops import mix64, slices_by_bytes
 MOST_TRAINING = 3000
 #: Hashed n-gram features (a power of two).
 FEATURES = 4096
+#: Texts, and bytes of them, whose features are held at a time.
+ROWS, WINDOW = 128, 1 << 17
 #: Two best codewords closer than this in probability: ambiguous.
 AMBIGUOUS = 0.2
 
@@ -40,23 +42,28 @@ _SALT = mix64(np.arange(1, 4, dtype=np.uint64))
 
 
 def features(texts: list[str], dim: int = FEATURES) -> np.ndarray:
-    """Square-rooted, length-normalised counts of hashed n-grams, one row for each text."""
-    out = np.zeros((len(texts), dim), np.float32)
+    """Square-rooted, length-normalised counts of hashed n-grams, one row for each text. Texts are read in
+    windows, so a long one needs no more memory than many short ones."""
+    parts = [(" " + t.lower() + " ").encode("utf-8", "replace") for t in texts]
+    data = np.frombuffer(b"".join(parts), np.uint8)
+    row = np.repeat(np.arange(len(parts), dtype=np.int32), [len(x) for x in parts])
     shift = np.uint64(64 - dim.bit_length() + 1)
-    for row, text in enumerate(texts):
-        a = np.frombuffer((" " + text.lower() + " ").encode("utf-8"), np.uint8).astype(np.uint64)
-        counts = np.zeros(dim)
+    counts = np.zeros(len(parts) * dim)
+    for s in range(0, len(data), WINDOW):
+        low = max(0, s - 2)
+        a, r = data[low : s + WINDOW].astype(np.uint64), row[low : s + WINDOW]
         key = a
         for n in range(1, 4):
             if n > 1:
                 key = (key[:-1] << np.uint64(8)) | a[n - 1 :]
-            if not len(key):
-                break
-            at = (((key + _SALT[n - 1]) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
-            counts += np.bincount(at, minlength=dim)
-        v = np.sqrt(counts)
-        out[row] = v / max(1e-9, np.sqrt((v * v).sum()))
-    return out
+            new = slice(max(0, s - low - n + 1), None)  # the others ended in the window before
+            at = (((key[new] + _SALT[n - 1]) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+            first, last = r[: len(key)][new], r[n - 1 :][new]
+            whole = first == last
+            counts += np.bincount(first[whole].astype(np.int64) * dim + at[whole], minlength=len(counts))
+    v = np.sqrt(counts.reshape(len(parts), dim))
+    v /= np.maximum(1e-9, np.sqrt((v * v).sum(axis=1, keepdims=True)))
+    return v.astype(np.float32)
 
 
 def codewords(n: int, seed: int = 11) -> np.ndarray:
@@ -90,7 +97,7 @@ class LanguageModel:
         known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
         if not known:
             return names, score, doubt
-        margin = features([texts[i] for i in known]).astype(np.float64) @ self.weights[:-1] + self.weights[-1]
+        margin = np.concatenate([features([texts[i] for i in known[s : s + ROWS]]) @ self.weights[:-1] + self.weights[-1] for s in range(0, len(known), ROWS)])
         sign = 2.0 * self.code - 1
         loss = (self.trust * np.logaddexp(0, -margin[:, None, :] * sign[None])).sum(axis=2)
         share = np.exp(loss.min(axis=1, keepdims=True) - loss)
@@ -124,11 +131,11 @@ def fit(docs: DataFrame, trainable, id_col="doc_id", text_col="text", lang_col="
         return LanguageModel([], np.zeros((0, 1), np.int8), np.zeros((FEATURES + 1, 1)), np.ones(1))
     share, rate = max(1, most // len(languages)), F.lit(0)
     for lang, n in counts.items():
-        rate = F.when(F.col(lang_col) == lang, F.lit(int(min(1.0, share / n) * 1_000_000))).otherwise(rate)
-    picked = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit("lang")), F.lit(1_000_000)) < rate)
+        rate = F.when(F.col(lang_col) == lang, F.lit(share_of_hashes(share, n))).otherwise(rate)
+    picked = rows.where(hash62(F.col(id_col).cast("string"), F.lit("lang")) < rate)
 
     def run(batches):
-        for batch in slices_by_bytes(batches, "text", 4 << 20):
+        for batch in slices_by_bytes(batches, "text", 1 << 20, ROWS):
             x = features([t or "" for t in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary()), batch.column(1)], names=["x", "lang"])
 
@@ -136,8 +143,8 @@ def fit(docs: DataFrame, trainable, id_col="doc_id", text_col="text", lang_col="
     x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, FEATURES).astype(np.float32)
     place = {lang: i for i, lang in enumerate(languages)}
     label = np.array([place[v] for v in got.column("lang").to_pylist()], np.int64)
-    if not len(x):  # the draw left nothing: no classifier to fit
-        return LanguageModel(languages[:1], codewords(1), np.zeros((FEATURES + 1, 1)), np.ones(1))
+    if not len(x):
+        raise RuntimeError(f"no row was drawn from {sum(counts.values())} labelled ones")
     order = np.lexsort((np.array([zlib.crc32(r.tobytes()) for r in x]), label))  # the same order whoever answers first
     x, label = x[order], label[order]
     code = codewords(len(languages))
@@ -149,7 +156,7 @@ def fit(docs: DataFrame, trainable, id_col="doc_id", text_col="text", lang_col="
         right = ((x[back] @ w[:-1] + w[-1] > 0) == (y[back] > 0.5)).mean(axis=0)
         trust = np.clip(np.log(np.clip(right, 0.5, 0.995) / (1 - np.clip(right, 0.5, 0.995))), 0.05, None)
         trust = trust / trust.mean()
-    return LanguageModel(languages, code, fit_bits(x, y).astype(np.float64), trust)
+    return LanguageModel(languages, code, fit_bits(x, y), trust)
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col="doc_id", text_col="text") -> DataFrame:
@@ -157,7 +164,7 @@ def predict(docs: DataFrame, model: LanguageModel, id_col="doc_id", text_col="te
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in slices_by_bytes(batches, "text", 4 << 20):
+        for batch in slices_by_bytes(batches, "text", 1 << 20):
             names, score, doubt = held.value.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(score), pa.array(doubt)], names=["doc_id", "lang_pred", "score", "ambiguous"])
 
@@ -174,22 +181,34 @@ def held_out_rows(id_col: str, modulus: int, value: int):
     return F.coalesce(remainder(id_col, modulus) == value, F.lit(True))
 
 
+def hash62(*columns):
+    """A hash of 62 bits, for draws at any rate."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 2)
+
+
+def share_of_hashes(wanted: int, n: int) -> int:
+    """Below this bound lie about ``wanted`` of n hashes of 62 bits; all of them if there are no more."""
+    return 1 << 62 if n <= wanted else (wanted << 62) // n
+
+
 def op5_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = predict(docs, fit(docs, remainder("doc_id", 4) != 2))
-    return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return out.select("doc_id", held_out_rows("doc_id", 4, 2).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 def keep_identified(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without any letter go, and those that no codeword fits at all."""
+    """Pipeline stage: documents go in which no language can be recognised: no text, or no letter in it. Where no row names a
+    language to learn, all with a letter stay."""
     model = fit(docs, F.lit(True))
     held = spark.sparkContext.broadcast(model)
     fields = docs.schema.names
     at = fields.index("text")
 
     def run(batches):
-        for batch in slices_by_bytes(batches, "text", 4 << 20):
-            names, _, _ = held.value.predict(batch.column(at).to_pylist())
-            yield batch.filter(pa.array([n != "und" for n in names], pa.bool_()))
+        for batch in slices_by_bytes(batches, "text", 1 << 20):
+            texts = batch.column(at).to_pylist()
+            known = [n != "und" for n in held.value.predict(texts)[0]] if held.value.languages else [bool(t and _LETTER.search(t)) for t in texts]
+            yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

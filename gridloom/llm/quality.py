@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.language_id import remainder
+from gridloom.llm.language_id import hash62, held_out_rows, remainder, share_of_hashes
 from gridloom.llm.textops import LOWER, byte_texts, slices_by_bytes, words_by_document
 
 #: Labelled rows that the model is fitted on, at most.
@@ -165,7 +165,7 @@ def _with_features(rows: DataFrame) -> DataFrame:
     """rows (doc_id, text binary, y) -> doc_id, x (packed doubles), y"""
 
     def run(batches):
-        for batch in slices_by_bytes(batches, "text", 4 << 20):
+        for batch in slices_by_bytes(batches, "text", 1 << 20):
             x = features(byte_texts(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2)], names=["doc_id", "x", "y"])
 
@@ -179,8 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, trainable, id_col="doc_id", text_col
     n = known.count()
     if not n:
         return fit_tables(np.zeros((0, len(NAMES))), np.zeros(0))
-    rate = int(min(1.0, most / n) * 1_000_000)
-    picked = known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit("quality")), F.lit(1_000_000)) < rate)
+    picked = known.where(hash62(F.col("doc_id"), F.lit("quality")) < F.lit(share_of_hashes(most, n)))
     # some 12,000 pairs of integers: small whatever the table's size, so every executor may have them
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     got = _with_features(source.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "y")).toArrow()
@@ -194,7 +193,7 @@ def score(docs: DataFrame, model: AdditiveModel, id_col="doc_id", text_col="text
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in slices_by_bytes(batches, "text", 4 << 20):
+        for batch in slices_by_bytes(batches, "text", 1 << 20):
             s = held.value.score(features(byte_texts(batch, "text")))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
@@ -205,7 +204,7 @@ def score(docs: DataFrame, model: AdditiveModel, id_col="doc_id", text_col="text
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     out = score(docs, fit(docs, labels, remainder("doc_id", 3) != 1))
-    return out.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", held_out_rows("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
 def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -214,7 +213,7 @@ def keep_good(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     at = docs.schema.names.index("text")
 
     def run(batches):
-        for batch in slices_by_bytes(batches, "text", 4 << 20):
+        for batch in slices_by_bytes(batches, "text", 1 << 20):
             x = features([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array(held.value.score(x) >= 0.5, pa.bool_()))
 
