@@ -4,12 +4,14 @@ Vectors become integers, are sorted by descending length over the partitions and
 Their second-moment matrix (dims x dims, summed by executors) gives the right singular vectors; rotated
 by them, the first coordinates hold most of the energy. Queries, packed into blocks too, meet the
 longest block first, which gives each a k-th score; after that a block whose longest vector cannot
-reach that score (Cauchy-Schwarz) is not even sent; within a block the rotated partial sum plus the product of the
+reach that score (Cauchy-Schwarz) is not even sent; the others come in order of their longest vector, so
+that what was found prunes what follows. Within a block the rotated partial sum plus the product of the
 residual lengths bounds each score, and only pairs whose bound reaches the k-th score are multiplied
-out, in integers (exact in doubles below 2**53, in 64-bit integers beyond).
+out, exactly: in doubles where no sum can reach 2**53, in 64-bit integers below 2**63, in unbounded
+integers beyond.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows with a null id, take
-no part; shorter vectors count as padded with zeros; ties go to the smaller id; rows repeated with one
+no part; all others do; a scaled component or a score of 2**63 or more, which no long can hold, is an error; shorter vectors count as padded with zeros; ties go to the smaller id; rows repeated with one
 id are rows of their own (a query leaves out only its own row); fewer than k candidates give all;
 an empty table gives an empty result; extra columns do not take part.
 """
@@ -30,17 +32,21 @@ BLOCK, QUERIES = 4096, 512
 def _integers(scale: float):
     def run(batches):
         for batch in batches:
-            ids, vectors = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep, norms, packed = [], [], []
-            for i, v in zip(ids, vectors):
-                if i is None or v is None or any(x is None for x in v):
-                    continue
-                x = np.floor(scale * np.asarray(v, np.float64))
-                if np.isfinite(x).all() and (np.abs(x) < 2**40).all():
-                    keep.append(i)
-                    norms.append(float(np.sqrt((x * x).sum())))
-                    packed.append(x.astype(np.int64).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keep, pa.int64()), pa.array(norms, pa.float64()), pa.array(packed, pa.binary())], names=["vec_id", "norm", "v"])
+            ids, lists = batch.column(0), batch.column(1)
+            x = np.floor(scale * lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64))  # null components become NaN
+            n = np.where(lists.is_valid().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+            ends = np.cumsum(n)
+            row = np.repeat(np.arange(len(n)), n)
+            raw = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            keep = lists.is_valid().to_numpy(zero_copy_only=False) & ids.is_valid().to_numpy(zero_copy_only=False)
+            keep[row[~np.isfinite(raw)]] = False
+            x[~keep[row]] = 0
+            if (np.abs(x) >= 2.0**63).any():
+                raise OverflowError("a scaled component does not fit in 64 bits")
+            norms = np.sqrt(np.bincount(row, x * x, len(n)))
+            at = np.flatnonzero(keep)
+            packed = [x[e - k : e].astype(np.int64).tobytes() for e, k in zip(ends[at].tolist(), n[at].tolist())]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), pa.array(norms[at]), pa.array(packed, pa.binary())], names=["vec_id", "norm", "v"])
 
     return run
 
@@ -162,6 +168,14 @@ def _seeded(k: int, dims: int, rotation, head: int, seed):
     return run
 
 
+def _long_products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows in unbounded integers."""
+    out = [sum(a * b for a, b in zip(*rows)) for rows in zip(x.tolist(), y.tolist())]
+    if any(not -(2**63) <= s < 2**63 for s in out):
+        raise OverflowError("a score does not fit in 64 bits")
+    return np.array(out, np.int64)
+
+
 class _Search:
     def __init__(self, row: dict, k: int, dims: int, rotation: np.ndarray, head: int):
         self.k, self.dims, self.rotation, self.head, self.number = k, dims, rotation, head, row["qblock"]
@@ -188,7 +202,9 @@ class _Search:
         own = self.own[live]
         here = np.flatnonzero(own[:, 0] == row["block"])
         may[here, own[here, 1]] = False
-        exact = float(np.abs(m).max(initial=0)) * float(np.abs(self.q).max(initial=0)) * self.dims < 2**53
+        # abs() of the least 64-bit integer would wrap; as doubles it does not
+        largest = float(np.abs(m.astype(float)).max(initial=0)) * float(np.abs(self.q.astype(float)).max(initial=0)) * self.dims
+        exact = largest < 2**53
         a, b = np.nonzero(may)
         self.pairs += len(a)
         if exact and len(a) > 0.1 * may.size:
@@ -197,7 +213,7 @@ class _Search:
             score = np.empty(len(a), np.int64)
             for s in range(0, len(a), 1 << 16):
                 x, y = self.q[live[a[s : s + (1 << 16)]]], m[b[s : s + (1 << 16)]]
-                score[s : s + (1 << 16)] = (x * y).sum(axis=1)
+                score[s : s + (1 << 16)] = (x * y).sum(axis=1) if largest < 2**62 else _long_products(x, y)
         good = score >= self.least[live[a]]
         self.found.append(np.stack([live[a[good]], score[good], ids[b[good]]], axis=1))
         self.settle()
@@ -247,6 +263,10 @@ def top_k(vectors: DataFrame, every: int, k: int = 5, id_col="vec_id", vec_col="
     groups = max(1, min(n_blocks, -(-4 * spark.sparkContext.defaultParallelism // n_queries)))
     dealt = blocks.withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
     sent = queries.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # both sides come dealt and sorted as a merge join needs them, so it keeps their order: each query block
+    # meets the blocks of a group one after another, longest first
+    dealt = dealt.repartition(groups, "group").sortWithinPartitions("group", F.desc("longest"), "block")
+    sent = sent.repartition(groups, "group").sortWithinPartitions("group", "qblock").hint("merge")
     met = sent.join(dealt, (sent["group"] == dealt["group"]) & (dealt["longest"] >= sent["reach"]))
     found = met.select("qblock", "qids", "own", "qm", "least", "block", "longest", "ids", "m").mapInArrow(_search(k, dims, rotation, head), "b long, p long, query_id long, vec_id long, score long")
     order = Window.partitionBy("b", "p").orderBy(F.desc("score"), "vec_id")
