@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.bpe_ids import ByteBpe, vocabulary
-from gridloom.llm.textops import _BYTE, byte_texts, slices_by_bytes
+from gridloom.llm.textops import VOCABULARIES, _BYTE, byte_texts, slices_by_bytes
 
 #: Bytes that the rolling hash sees.
 WINDOW = 16
@@ -170,6 +170,8 @@ _ENCODERS: dict[str, ChunkEncoder] = {}
 def worker_encoder(path: str) -> ChunkEncoder:
     """One encoder, and so one dictionary of chunks, for each worker process."""
     if path not in _ENCODERS:
+        if not _ENCODERS:
+            VOCABULARIES.append(_ENCODERS.clear)
         _ENCODERS[path] = ChunkEncoder(ByteBpe.load(path))
     return _ENCODERS[path]
 
@@ -179,7 +181,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     def run(batches):
         encoder = worker_encoder(path)
-        for batch in slices_by_bytes(batches, "text", 4 << 20):
+        for batch in slices_by_bytes(batches, "text", 4 << 20, vocabulary=True):
             ids = [encoder.encode(t) for t in byte_texts(batch, "text")]
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
             values = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
@@ -209,7 +211,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         encoder = worker_encoder(path)
-        for batch in slices_by_bytes(batches, "text", 4 << 20):
+        for batch in slices_by_bytes(batches, "text", 4 << 20, vocabulary=True):
             n, of_ids, of_text = [], [], []
             for text in byte_texts(batch, "text"):
                 ids = encoder.encode(text)

@@ -15,6 +15,8 @@ import unicodedata
 
 import numpy as np
 
+from gridloom.llm.textops import VOCABULARIES
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Splits text before the merges of a byte-level vocabulary (the published pattern of that family).
@@ -47,6 +49,8 @@ class ByteBpe:
     def load(cls, path: str) -> ByteBpe:
         """One instance for each worker process."""
         if path not in cls._loaded:
+            if not cls._loaded:
+                VOCABULARIES.append(cls._loaded.clear)
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
@@ -129,6 +133,8 @@ class WordBpe:
     @classmethod
     def load(cls, path: str) -> WordBpe:
         if path not in cls._loaded:
+            if not cls._loaded:
+                VOCABULARIES.append(cls._loaded.clear)
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import ctypes
 import ctypes.util
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,10 +135,18 @@ def sorted_common(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(b[at] == a))
 
 
-def slices_by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+#: What a worker holds of vocabularies, by functions that forget it.
+VOCABULARIES: list[Callable[[], None]] = []
+
+
+def slices_by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int, rows: int = 4096, vocabulary: bool = False) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``limit`` bytes of ``column`` (one row at least) and at most ``rows`` rows.
 
-    At the end the worker, which Spark keeps for later tasks, gives back the memory that it has freed."""
+    Spark keeps workers for later tasks: one that goes on to a task without a ``vocabulary`` forgets those it has, and
+    every worker gives back the memory that it has freed at the end of its task."""
+    if not vocabulary:
+        while VOCABULARIES:
+            VOCABULARIES.pop()()
     try:
         for batch in batches:
             array = batch.column(batch.schema.get_field_index(column))

@@ -35,7 +35,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int | None = 2
 
     def run(batches):
         bpe, place, part = ByteBpe.load(path), 0, TaskContext.get().partitionId()
-        for batch in slices_by_bytes(batches, "text", 2 << 20):
+        for batch in slices_by_bytes(batches, "text", 2 << 20, vocabulary=True):
             ids = [np.concatenate([bpe.encode(t.decode("utf-8", "replace")), end]) for t in byte_texts(batch, "text")]
             counts = np.array([len(x) for x in ids], np.int64)
             offsets = np.concatenate([[0], np.cumsum(counts)])
