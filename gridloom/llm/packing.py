@@ -30,7 +30,9 @@ from gridloom.llm.textops import byte_texts, slices_by_bytes
 from gridloom.shared import materialize
 
 BLOCK = 4096  # pieces that an island packs
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 2, 2, 4, 6
+ISLANDS, EPOCHS, POPULATION = 2, 3, 6
+#: Generations of an epoch at most, and without a better grouping until it ends.
+GENERATIONS, STALE = 40, 12
 #: Bins filled less than this are opened again on the next level.
 WELL_FILLED = 0.985
 #: Levels go on while one needs at least this share fewer bins for the opened pieces, or leaves this share fewer open.
@@ -99,11 +101,10 @@ class Island:
             self.population.append(best_fit(self.lengths, noisy.tolist(), self.capacity))
 
     def cross(self, giver: list[list[int]], taker: list[list[int]]) -> list[list[int]]:
-        fills = np.array([sum(self.lengths[i] for i in b) for b in giver])
-        chosen = [b for b, f in zip(giver, fills) if f >= self.capacity * 0.995]
-        if len(chosen) > 1:
-            picked = self.random.random(len(chosen)) < self.random.uniform(0.3, 0.7)
-            chosen = [b for b, p in zip(chosen, picked) if p]
+        # the better filled a bin, the likelier it is handed on
+        fills = np.array([sum(self.lengths[i] for i in b) for b in giver], float) / self.capacity
+        drawn = self.random.random(len(giver)) < fills ** self.random.uniform(8, 60) * self.random.uniform(0.4, 1.0)
+        chosen = [b for b, d in zip(giver, drawn) if d]
         inside = np.zeros(len(self.lengths), bool)
         for b in chosen:
             inside[b] = True
@@ -121,18 +122,45 @@ class Island:
         for k in worst:
             displaced += bins[k]
         bins = [b for k, b in enumerate(bins) if k not in worst]
+        displaced = self.exchange(bins, displaced)
         displaced.sort(key=lambda i: -self.lengths[i])
         return best_fit(self.lengths, displaced, self.capacity, bins)
 
+    def exchange(self, bins: list[list[int]], displaced: list[int]) -> list[int]:
+        """Where a displaced item fills a bin better than one or two of its items do, it takes their place; what
+        is displaced then is smaller and easier to place."""
+        left = sorted((self.lengths[i], i) for i in displaced)
+        for bin_ in bins:
+            room = self.capacity - sum(self.lengths[i] for i in bin_)
+            if not room or not left:
+                continue
+            groups = [(i,) for i in bin_] + [(i, j) for k, i in enumerate(bin_[:12]) for j in bin_[:k]]
+            best = (0, None, None)
+            for group in groups:
+                held = sum(self.lengths[i] for i in group)
+                at = bisect_left(left, (held + room + 1,)) - 1  # the longest that fits in their place
+                if at >= 0 and left[at][0] - held > best[0]:
+                    best = (left[at][0] - held, group, at)
+            if best[1]:
+                _, item = left.pop(best[2])
+                for i in best[1]:
+                    bin_.remove(i)
+                    insort(left, (self.lengths[i], i))
+                bin_.append(item)
+        return [i for _, i in left]
+
     def evolve(self, generations: int = GENERATIONS) -> None:
+        best, stale = None, 0
         for _ in range(generations):
-            if self.settled() or len(self.population) < 2:
+            if self.settled() or len(self.population) < 2 or stale >= STALE:
                 return
             a, b = self.random.choice(len(self.population), 2, replace=False)
             child = self.cross(self.population[a], self.population[b])
             worst = max(range(len(self.population)), key=lambda k: self.cost(self.population[k]))
             if self.cost(child) <= self.cost(self.population[worst]):
                 self.population[worst] = child
+            now = min(self.cost(p) for p in self.population)
+            best, stale = (now, 0) if best is None or now < best else (best, stale + 1)
 
 
 _ELITE = "block long, island int, bins long, settled boolean, uids binary, at binary"
@@ -240,7 +268,7 @@ def pieces_of(docs: DataFrame, path: str, capacity: int, end_id: int | None, id_
 
     def run(batches):
         bpe = WordBpe.load(path)
-        for batch in slices_by_bytes(batches, "text", 2 << 20):
+        for batch in slices_by_bytes(batches, "text", 2 << 20, vocabulary=True):
             ids = bpe.encode_many([t.decode("utf-8", "replace") for t in byte_texts(batch, "text")])
             rows: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
             for doc, raw in zip(batch.column(0).to_pylist(), ids):
